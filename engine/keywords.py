@@ -1,0 +1,89 @@
+"""Keyword lists packed into one string, and query p5_found."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SEPARATORS = frozenset(",;|\t\n\r，；｜")
+ENCLOSED = {"[": "]", "{": "}"}
+
+
+def split_keywords(packed: str | None) -> list[str]:
+    """The keywords of a packed string, in order, repeats kept.
+
+    A separator does not count inside quotes that open a piece or behind a backslash; such marks are dropped.
+    A slash separates only between blanks. One pair of brackets around the whole string is dropped.
+    """
+    s = (packed or "").strip()
+    if len(s) > 1 and ENCLOSED.get(s[0]) == s[-1]:
+        s = s[1:-1]
+    found: list[str] = []
+    piece: list[str] = []
+    held = 0  # characters of the piece up to here are protected, so blanks among them stay
+
+    def close() -> None:
+        nonlocal held
+        kept, rest = "".join(piece[:held]), "".join(piece[held:])
+        if word := (kept + rest.rstrip() if held else rest.strip()):
+            found.append(word)
+        piece.clear()
+        held = 0
+
+    i, n = 0, len(s)
+    while i < n:
+        ch = s[i]
+        if ch in "\"'" and not held and not "".join(piece).strip():
+            j, inner = i + 1, []
+            while j < n:
+                if s[j] == "\\" and j + 1 < n:
+                    inner.append(s[j + 1])
+                    j += 2
+                elif s[j] == ch and s[j + 1 : j + 2] == ch:
+                    if not inner and (j + 2 >= n or s[j + 2 :].lstrip(" ")[:1] in SEPARATORS):
+                        break
+                    inner.append(ch)
+                    j += 2
+                elif s[j] == ch:
+                    break
+                else:
+                    inner.append(s[j])
+                    j += 1
+            after = s[j + 1 :].lstrip(" ")[:1] if j < n else None
+            if after is not None and (after == "" or after in SEPARATORS or after == "/"):
+                piece[:] = "".join(inner).strip()
+                held = len(piece)
+                i = j + 1
+                continue
+        if ch == "\\" and i + 1 < n:
+            if not held:
+                piece[:] = "".join(piece).lstrip()
+            piece.append(s[i + 1])
+            held = len(piece)
+            i += 2
+        elif ch in SEPARATORS or (ch == "/" and (i == 0 or s[i - 1].isspace()) and (i + 1 == n or s[i + 1].isspace())):
+            close()
+            i += 1
+        else:
+            piece.append(ch)
+            i += 1
+    close()
+    return found
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each keyword of the examples that hold two or more."""
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for packed in batches:
+            yield packed.map(split_keywords)
+
+    examples = spark.read.parquet(f"{sf_dir}/examples.parquet").where(F.col("keywords").isNotNull())
+    held = examples.select("example_id", split("keywords").alias("found")).where(F.size("found") >= 2)
+    return held.select("example_id", F.posexplode("found").alias("pos", "keyword")).select(
+        "example_id", (F.col("pos") + 1).cast("int").alias("pos"), "keyword"
+    )

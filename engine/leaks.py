@@ -1,0 +1,98 @@
+"""Passages of eval_items in documents: query p8_found."""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+RESIDUE = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|\\[nrt]")
+HIDDEN = re.compile("[­​-‏⁠﻿]")
+WORD = re.compile(r"[^\W_]+")
+SENTENCE = re.compile(r"^(.{10,160}?[.:?!])\s+(.*)$", re.S)
+#: Words of a passage that make a case; words that may fall between two stretches that agree.
+LEAST, BETWEEN = 25, 2
+#: Words looked at together and how many of them must agree; the shorter for sentences that others were put between.
+AGREE = ((14, 12), (10, 10))
+#: A run of three words in more items than this is a phrase of the language and starts no comparison.
+COMMON = 12
+
+
+def words(text: str | None) -> list[str]:
+    """Words without case, accents, punctuation, tags and escaped line ends."""
+    s = RESIDUE.sub(" ", html.unescape(HIDDEN.sub("", text or "")))
+    if not s.isascii():
+        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    return WORD.findall(s.casefold())
+
+
+def passages(items: list[tuple[int, str]]) -> dict[int, list[str]]:
+    """The words of each item without an opening sentence that items with different passages share."""
+    parted = {i: (tuple(words(m[1])), tuple(words(m[2]))) if (m := SENTENCE.match(text.strip())) else ((), tuple(words(text))) for i, text in items}
+    rests = defaultdict(set)
+    for first, rest in parted.values():
+        rests[first].add(rest)
+    return {i: list(rest if len(rests[first]) > 1 else first + rest) for i, (first, rest) in parted.items()}
+
+
+class Matcher:
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.items = passages(items)
+        starts: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+        for i, w in self.items.items():
+            for k in range(len(w) - 2):
+                starts[tuple(w[k : k + 3])].append((i, k))
+        self.starts = {x: at for x, at in starts.items() if len({i for i, _ in at}) <= COMMON}
+
+    def longest(self, text: str | None) -> dict[int, int]:
+        """For each item the words of its longest stretch in the text."""
+        doc = words(text)
+        shifts: Counter[tuple[int, int]] = Counter()
+        for p, x in enumerate(zip(doc, doc[1:], doc[2:])):
+            for i, k in self.starts.get(x, ()):
+                shifts[i, p - k] += 1
+        covered: dict[int, set[int]] = defaultdict(set)
+        for (i, d), hits in shifts.items():
+            if hits > 1:
+                w = self.items[i]
+                lo, hi = max(0, -d), min(len(w), len(doc) - d)
+                same = [w[k] == doc[k + d] for k in range(lo, hi)]
+                for together, agree in AGREE:
+                    for k in range(len(same) - together + 1):
+                        if same[k] and sum(same[k : k + together]) >= agree:
+                            end = k + together
+                            while not same[end - 1]:
+                                end -= 1
+                            covered[i].update(range(lo + k, lo + end))
+        out = {}
+        for i, held in covered.items():
+            at = sorted(held)
+            start, best = at[0], 0
+            for x, y in zip(at, [*at[1:], 1 << 30]):
+                if y - x > BETWEEN + 1:
+                    best, start = max(best, x + 1 - start), y
+            out[i] = best
+        return out
+
+    def found(self, text: str | None) -> list[int]:
+        return [i for i, n in self.longest(text).items() if n >= min(LEAST, len(self.items[i]))]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/eval_items.parquet").select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").collect()
+    items = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])  # a fixed, small table
+
+    @F.pandas_udf("array<bigint>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items.value)
+        for texts in batches:
+            yield texts.map(matcher.found)
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return documents.select("doc_id", F.explode(found("text")).alias("item_id"))

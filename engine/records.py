@@ -1,0 +1,84 @@
+"""Records of the dataset CSV in raw_lines: queries p2_found (those that fail) and p2_loaded (all others)."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engine.keywords import split_keywords
+
+COLUMNS = ["description", "code", "style", "topic", "keywords"]
+STYLES = ("using_namespace_std", "explicit_std")
+FIELD = re.compile(r'"((?:[^"\\]++|\\.|"")*+)"', re.S)
+ESCAPE = re.compile(r'\\(.)|""', re.S)
+CONTROL = re.compile("[%s]" % "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cc" and c != 9))
+
+
+def cut(line: str) -> list[str] | None:
+    """The fields of a line as written, or None if it is not quoted fields with commas between."""
+    fields, at = [], 0
+    while m := FIELD.match(line, at):
+        fields.append(m[1])
+        at = m.end()
+        if at == len(line):
+            return fields
+        if line[at] != ",":
+            return None
+        at += 1
+    return None
+
+
+def unescape(field: str) -> str:
+    return ESCAPE.sub(lambda m: '"' if m[1] is None else "\n" if m[1] == "n" else "\t" if m[1] == "t" else m[1], field)
+
+
+def is_record(line: str | None) -> bool:
+    """False for header, empty and comment lines."""
+    text = (line or "").removeprefix("﻿")
+    return bool(text.strip()) and not text.startswith("#") and [x.strip().strip('"') for x in text.lower().split(",")] != COLUMNS
+
+
+def read(line: str) -> tuple[str | None, list[str]]:
+    """The first reason why a record fails, or None and its five values."""
+    fields = cut(line.removeprefix("﻿").rstrip("\r\n"))
+    if fields is None:
+        return "quoting", []
+    if len(fields) != 5:
+        return "columns", []
+    values = [unescape(x) for x in fields]
+    description, code, style, topic, keywords = values
+    if style not in STYLES or not (description.strip() and code.strip() and topic.strip()) or not split_keywords(keywords) or CONTROL.search(fields[1]):
+        return "values", []
+    return None, values
+
+
+def _records(spark: SparkSession, sf_dir: str, loaded: bool) -> DataFrame:
+    def failed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, read(x)[0]) for i, x in zip(b["line_id"], b["line_text"]) if is_record(x)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["line_id", "reason"])
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, s, n, read(x)) for i, s, n, x in zip(b["line_id"], b["shard"], b["line_no"], b["line_text"]) if is_record(x)]
+            yield pd.DataFrame([(i, s, n, *v) for i, s, n, (why, v) in rows if why is None], columns=["line_id", "shard", "line_no", *COLUMNS])
+
+    lines = spark.read.parquet(f"{sf_dir}/raw_lines.parquet")
+    if loaded:
+        return lines.select("line_id", "shard", "line_no", "line_text").mapInPandas(
+            kept, "line_id bigint, shard string, line_no int, " + ", ".join(f"{c} string" for c in COLUMNS)
+        )
+    return lines.select("line_id", "line_text").mapInPandas(failed, "line_id bigint, reason string")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir, loaded=False)
+
+
+def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _records(spark, sf_dir, loaded=True)

@@ -1,0 +1,126 @@
+"""Token counts under the byte-level BPE of bpe_vocab and bpe_merges: queries p3_tokens (per text) and p3_totals."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Pieces whose counts a worker keeps.
+KEPT = 200_000
+#: Dataset, id, text, then what is totalled by.
+INPUTS = [
+    ("examples", "example_id", "code", "source", "topic", "style"),
+    ("source_files", "file_id", "code", "repo", "topic", "style"),
+    ("documents", "doc_id", "text", "source", "doc_kind", None),
+]
+
+
+def byte_token(b: int) -> str:
+    """The character that stands for a byte in the vocabulary."""
+    return chr(b) if b in (9, 10, 13) or 32 <= b <= 126 or b >= 161 else chr(0xE000 + b)
+
+
+class Encoder:
+    """Lowest rank first, all occurrences from left to right, over whole texts: one way at every vocabulary size.
+
+    Each token is one character, bytes being U+0000-U+00FF, so a merge is a replacement in one string. When a merge
+    makes an operand of an earlier one, the earlier one comes next. Texts are cut between bytes that no token holds
+    side by side, as no merge can reach over such a place.
+    """
+
+    def __init__(self, merges: list[tuple[str, str]]) -> None:
+        as_char = {byte_token(b): chr(b) for b in range(256)}
+        to_byte = {byte_token(b): b for b in range(256)}
+        self.joint, free = chr(0x100), iter(c for c in range(0x101, 0x110000) if not 0xD800 <= c < 0xE000)
+        self.cuts = np.ones(1 << 16, dtype=bool)
+        for token in dict.fromkeys(x + y for x, y in merges):
+            as_char[token] = chr(next(free))
+            held = [to_byte[c] for c in token]
+            for x, y in zip(held, held[1:]):
+                self.cuts[x << 8 | y] = False
+        usable = [(x, y) for x, y in merges if x in as_char and y in as_char]
+        self.steps = [(as_char[x] + as_char[y], as_char[x + y]) for x, y in usable]
+        first: dict[str, int] = {}
+        for k, (x, y) in enumerate(usable):
+            first.setdefault(x, k)
+            first.setdefault(y, k)
+        self.again = [first.get(x + y, len(usable)) for x, y in usable]
+        self.counts: dict[bytes, int] = {}
+
+    def encode(self, texts: list[bytes]) -> list[str]:
+        """A character for each token of each text."""
+        s = self.joint.join(x.decode("latin-1") for x in texts)
+        k = 0
+        while k < len(self.steps):
+            pair, token = self.steps[k]
+            changed = pair in s
+            if changed:
+                s = s.replace(pair, token)
+            k = min(k + 1, self.again[k]) if changed else k + 1
+        return s.split(self.joint)
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        a = np.frombuffer(text, dtype=np.uint8).astype(np.uint16)
+        at = (np.flatnonzero(self.cuts[a[:-1] << 8 | a[1:]]) + 1).tolist()
+        return [text[i:j] for i, j in zip([0, *at], [*at, len(text)])]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """The number of tokens of each text; none for NULL."""
+        cut = [self.pieces(x.encode("utf-8")) if x else [] for x in texts]
+        if len(self.counts) > KEPT:
+            self.counts.clear()
+        if new := list({p for c in cut for p in c if p not in self.counts}):
+            self.counts.update(zip(new, map(len, self.encode(new))))
+        return [sum(map(self.counts.__getitem__, c)) for c in cut]
+
+
+def merges_of(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """The merges in rank order, each pair at its lowest rank; the table is fixed and small."""
+    merges = spark.read.parquet(f"{sf_dir}/bpe_merges.parquet").groupBy("left_token", "right_token").agg(F.min("merge_rank").alias("rank"))
+    return [(r["left_token"], r["right_token"]) for r in merges.orderBy("rank", "left_token", "right_token").collect()]
+
+
+def language(lang: Column) -> Column:
+    """en for `EN`, ` en`, `en-EN` and `en_x`; und for NULL."""
+    return F.coalesce(F.regexp_replace(F.lower(F.trim(lang)), "[-_].*$", ""), F.lit("und"))
+
+
+def p3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every text of the three tables, labels as they stand."""
+    model = spark.sparkContext.broadcast(merges_of(spark, sf_dir))
+
+    @F.pandas_udf("bigint")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(model.value)
+        for texts in batches:
+            yield pd.Series([n for k in range(0, len(texts), 500) for n in encoder.count(list(texts[k : k + 500]))], dtype="int64")
+
+    parts = [
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
+            F.lit(table).alias("dataset"), F.col(key).alias("text_id"), F.col(origin).alias("origin"), "lang", F.col(kind).alias("kind"),
+            (F.col(style) if style else F.lit(None).cast("string")).alias("style"), tokens(text).alias("n_tokens"),
+        )
+        for table, key, text, origin, kind, style in INPUTS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and tokens by dataset, source or repo, language, topic or kind, and style.
+
+    Spellings of a label that differ only in case, blanks and punctuation are one, shown as its commonest spelling.
+    """
+    by = ["dataset", "origin", "lang", "kind", "style"]
+    sums = p3_tokens(spark, sf_dir).groupBy(*by).agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
+    sums = sums.withColumn("lang", language(F.col("lang")))
+    for label in ("kind", "style"):
+        key = F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]", "")
+        spelt = sums.groupBy(key.alias("key"), F.col(label).alias("spelt")).agg(F.sum("n_texts").alias("n"))
+        best = spelt.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "spelt"))).where("k = 1").select("key", "spelt")
+        sums = sums.withColumn("key", key).join(F.broadcast(best), "key", "left").withColumn(label, F.col("spelt")).drop("key", "spelt")
+    return sums.groupBy(*by).agg(F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))

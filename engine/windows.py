@@ -1,0 +1,75 @@
+"""Texts put into context windows: query p7_windows."""
+
+from __future__ import annotations
+
+from bisect import bisect_left, insort
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engine.tokens import Encoder, merges_of
+
+#: Texts packed together; bounds the open windows and the memory of a task.
+TOGETHER = 5000
+
+
+def pack(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit, largest first: (text, piece, its first token, its tokens, window, its place in the window).
+
+    Only a text of more than `capacity` tokens is split, into full windows and a last piece that is packed as a text.
+    """
+    out, rest = [], []
+    used = 0
+    for t, size in enumerate(sizes):
+        full = (size - 1) // capacity if size > capacity else 0
+        for k in range(full):
+            out.append((t, k, k * capacity, capacity, used, 0))
+            used += 1
+        rest.append((size - full * capacity, t, full))
+    spaces: list[int] = []  # the free spaces there are, each once
+    windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for size, t, piece in sorted(rest, key=lambda x: (-x[0], x[1])):
+        if (at := bisect_left(spaces, size)) < len(spaces):
+            space = spaces[at]
+            window, place = windows[space].pop()
+            if not windows[space]:
+                del spaces[at]
+        else:
+            space, window, place = capacity, used, 0
+            used += 1
+        out.append((t, piece, piece * capacity, size, window, place))
+        if not windows[space - size]:
+            insort(spaces, space - size)
+        windows[space - size].append((window, place + 1))
+    return out
+
+
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each capacity, the window of every text, or of every piece of a text that is longer than the window."""
+    model = spark.sparkContext.broadcast(merges_of(spark, sf_dir))
+
+    @F.pandas_udf("bigint")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(model.value)
+        for texts in batches:
+            yield pd.Series([n for k in range(0, len(texts), 500) for n in encoder.count(list(texts[k : k + 500]))], dtype="int64")
+
+    def packed(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("doc_id", ignore_index=True)
+        rows = pd.DataFrame(pack(b["n"].tolist(), int(b["capacity_tokens"][0])), columns=["t", "piece", "first_token", "n_tokens", "window_no", "place"])
+        rows["doc_id"] = b["doc_id"].to_numpy()[rows.pop("t").to_numpy()]
+        rows["window_no"] += int(b["part"][0]) << 32
+        return rows.assign(window_id=b["window_id"][0])[["window_id", "doc_id", "piece", "first_token", "n_tokens", "window_no", "place"]]
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = -(-documents.count() // TOGETHER) or 1
+    windows = spark.read.parquet(f"{sf_dir}/context_windows.parquet").select("window_id", "capacity_tokens").distinct()
+    sized = documents.select("doc_id", tokens("text").alias("n"), F.expr(f"pmod(xxhash64(doc_id), {parts})").alias("part"))
+    return (
+        sized.crossJoin(F.broadcast(windows))
+        .groupBy("window_id", "part")
+        .applyInPandas(packed, "window_id int, doc_id bigint, piece int, first_token bigint, n_tokens bigint, window_no bigint, place int")
+    )
