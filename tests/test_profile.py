@@ -1,0 +1,38 @@
+import math
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).parents[1]))
+
+import __spark_entry__
+from engine.profile import QUERIES, SQL
+
+DATA = Path("/root/testdata/sf0.01")
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() == 1
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_as_sql(spark, name):
+    db = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = __spark_entry__.queries()[name](spark, str(DATA))
+    want = db.execute(SQL[name])
+    assert df.columns == [c[0] for c in want.description]
+    key = lambda r: [(x is not None, str(x)) for x in r if not isinstance(x, float)]
+    got, want = (sorted(map(tuple, rows), key=key) for rows in (df.collect(), want.fetchall()))
+    assert got and len(got) == len(want)
+    for g, w in zip(got, want):
+        assert all(math.isclose(x, y, rel_tol=1e-9) if isinstance(x, float) else x == y for x, y in zip(g, w)), (g, w)
