@@ -11,9 +11,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.language import language
 from corpusloom.llm.registry import LLM
 from corpusloom.runtime import kept, read
 
@@ -157,11 +158,6 @@ def counter(spark: SparkSession, tokens: list[bytes]):
     return n_tokens
 
 
-def language(lang: Column) -> Column:
-    """en for `EN`, ` en`, `en-EN` and `en_x`; und for NULL."""
-    return F.coalesce(F.regexp_replace(F.lower(F.trim(lang)), "[-_].*$", ""), F.lit("und"))
-
-
 @LLM.query("p3_tokens")
 def p3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every text of the three tables, labels as they stand."""
