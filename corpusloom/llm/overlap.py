@@ -236,17 +236,18 @@ def links(by: DataFrame, least: float = LEAST, shard: int = SHARD, slice_: int =
     shards, slices = -(-counts["held"] // shard) or 1, -(-counts["train"] // slice_) or 1
     place = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = by.where("held_out").select(place(shards).alias("shard"), each(slices).alias("slice"), "class", "symbols")
+    held = by.where("held_out").select(place(shards).alias("shard"), each(slices).alias("slice"), F.col("class").alias("held_class"), F.col("symbols").alias("held_symbols"))  # other names: the sides share no column
     train = by.where("train").select(each(shards).alias("shard"), place(slices).alias("slice"), "class", "symbols")
 
     def search(queries: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or texts.empty:
-            return pd.DataFrame({"train_class": [], "held_class": [], "similarity": []})
-        a, b = queries["class"].tolist(), texts["class"].tolist()
+            return pd.DataFrame({"train_class": pd.Series([], dtype=object), "held_class": pd.Series([], dtype=object), "similarity": pd.Series([], dtype=float)})
+        a, b = queries["class"].tolist(), texts["held_class"].tolist()
         as_arrays = lambda s: [np.asarray(x, dtype=np.int64) for x in s]
-        index = FullText(as_arrays(texts["symbols"]))
+        index = FullText(as_arrays(texts["held_symbols"]))
         found = index.pairs(as_arrays(queries["symbols"]), least)
-        return pd.DataFrame([(a[i], b[j], r) for i, j, r in found if a[i] != b[j]], columns=["train_class", "held_class", "similarity"])
+        found = [(i, j, r) for i, j, r in found if a[i] != b[j]]
+        return pd.DataFrame({"train_class": pd.Series([a[i] for i, _, _ in found], dtype=object), "held_class": pd.Series([b[j] for _, j, _ in found], dtype=object), "similarity": pd.Series([r for _, _, r in found], dtype=float)})
 
     return train.groupBy("shard", "slice").cogroup(held.groupBy("shard", "slice")).applyInPandas(search, "train_class string, held_class string, similarity double")
 
