@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.registry import LLM
-from corpusloom.runtime import kept, read
+from corpusloom.runtime import cut, kept, read
 
 #: Comments and literals of each language; what is not closed goes to the end of its line, or of the file where lines do not end it.
 CPP = re.compile(
@@ -204,7 +204,7 @@ def language_shares(files: DataFrame, key: str, code: str, lang: str) -> DataFra
             yield pd.Series([[{"text_lang": k, "part": v} for k, v in languages(t, profiles)] for t in texts], dtype=object)
 
     size = F.octet_length(code).alias("_size")
-    found = files.select(F.col(key).alias("_key"), size, F.explode(spans(code, lang)).alias("s")).select("_key", "_size", "s.*")
+    found = cut(files.select(F.col(key).alias("_key"), size, F.explode(spans(code, lang)).alias("s")).select("_key", "_size", "s.*"))  # read twice, extracted once
     distinct = found.groupBy("hash").agg(F.first("text").alias("text"))
     labels = distinct.select("hash", F.inline(classify("text")))
     salted = labels.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
