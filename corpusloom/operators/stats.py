@@ -100,7 +100,7 @@ def word_tokenizer(d: Spark) -> str:
 def char_bigrams(d: Spark) -> str:
     """Pairs of characters side by side with their counts."""
     cs = d.chars("text")
-    pair = "[c[i] || c[i + 1] for i in range(1, len(c))]" if isinstance(d, Duck) else "transform(sequence(1, greatest(size(c) - 1, 1)), i -> try_element_at(c, i) || try_element_at(c, i + 1))"
+    pair = "[c[i] || c[i + 1] for i in range(1, len(c))]" if isinstance(d, Duck) else "zip_with(c, slice(c, 2, greatest(size(c), 1)), (x, y) -> x || y)"
     return f"SELECT item AS pair, count(*) AS n FROM (SELECT {pair} AS pairs FROM (SELECT {d.filter(cs, chr(120) + chr(32) + chr(60) + chr(62) + chr(32) + chr(39) * 2)} AS c FROM {{documents}} WHERE text IS NOT NULL) AS a) AS t, {d.each('t.pairs')} AS e WHERE length(item) = 2 GROUP BY item"
 
 
@@ -109,10 +109,11 @@ def hexed(d: Spark, x: str) -> str:
 
 
 def bytes_of(d: Spark, x: str, n: int) -> str:
-    """Hexadecimal numbers of n bytes side by side, from each byte on."""
+    """Hexadecimal numbers of one byte or two side by side, from each byte on."""
     if isinstance(d, Duck):
         return f"[substr(h, 2 * i + 1, {2 * n}) for i in range(len(h) // 2 - {n - 1})]"
-    return f"transform(sequence(0, greatest(length(h) DIV 2 - {n}, 0)), i -> substr(h, 2 * i + 1, {2 * n}))"
+    one = "regexp_extract_all(h, '(..)', 1)"
+    return one if n == 1 else f"zip_with({one}, slice({one}, 2, greatest(size({one}), 1)), (x, y) -> x || y)"
 
 
 def byte_runs(d: Spark, n: int) -> str:
@@ -235,8 +236,8 @@ def early_stop(d: Spark) -> str:
 def repeat_stop(d: Spark) -> str:
     """Documents in which a word comes five times in a row, with the first place."""
     w = words_of(d, "text")
-    five = "[i for i in range(1, len(w) - 3) if w[i] = w[i + 1] and w[i] = w[i + 2] and w[i] = w[i + 3] and w[i] = w[i + 4]]" if isinstance(d, Duck) else "filter(sequence(1, greatest(size(w) - 4, 1)), i -> try_element_at(w, i) = try_element_at(w, i + 1) AND try_element_at(w, i) = try_element_at(w, i + 2) AND try_element_at(w, i) = try_element_at(w, i + 3) AND try_element_at(w, i) = try_element_at(w, i + 4))"
-    return f"SELECT doc_id, CAST({d.elem('at5', 1)} AS BIGINT) AS place FROM (SELECT doc_id, {five} AS at5 FROM (SELECT doc_id, {w} AS w FROM {{documents}} WHERE text IS NOT NULL) AS a) AS b WHERE {d.size('at5')} > 0"
+    same = "[CASE WHEN w[i] = w[i + 1] THEN '1' ELSE '0' END for i in range(1, len(w))]" if isinstance(d, Duck) else "zip_with(w, slice(w, 2, greatest(size(w), 1)), (x, y) -> CASE WHEN x = y THEN '1' ELSE '0' END)"
+    return f"SELECT doc_id, CAST(place AS BIGINT) AS place FROM (SELECT doc_id, instr({d.join(same, '')}, '1111') AS place FROM (SELECT doc_id, {w} AS w FROM {{documents}} WHERE text IS NOT NULL) AS a) AS b WHERE place > 0"
 
 
 @relational("top_k_filter")

@@ -136,8 +136,8 @@ def token_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.query("byte_encode", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_ids FROM documents WHERE text IS NOT NULL")
 def byte_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A byte is an id, nothing is merged."""
-    ids = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("text"), F.lit(1))), lambda i: F.conv(F.hex(F.substring(F.encode("text", "UTF-8"), i, F.lit(1))), 16, 10).cast("int"))
-    return read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(F.filter(ids, lambda x: x.isNotNull())).cast("bigint").alias("n_ids"))
+    ids = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("int"))
+    return read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.size(ids).cast("bigint").alias("n_ids"))
 
 
 @CORE.query("greedy_encode")

@@ -165,6 +165,19 @@ TABLES = (
     "raw_lines examples source_files compile_results request_log bpe_vocab bpe_merges documents eval_items subject_areas doc_labels context_windows "
     "events embeddings region nation customer supplier part orders lineitem"
 ).split()
+#: The columns of each table; any other, which could clash with names within a query, is left out.
+COLUMNS = {
+    "raw_lines": "line_id shard line_no line_text",
+    "examples": "example_id line_no description code style topic keywords style_type code_hash code_snippet code_length lines_in_code split source lang loaded_at",
+    "source_files": "file_id repo file_path lang code topic style fetched_at",
+    "compile_results": "result_id example_id success line_number topic style description error_message warnings compile_time code_hash code_snippet compiled_at received_at",
+    "request_log": "request_id client_ip endpoint ts received_at n_chars",
+    "bpe_vocab": "token_id token",
+    "bpe_merges": "merge_rank left_token right_token",
+    "documents": "doc_id text lang source n_chars doc_kind added_at",
+    "doc_labels": "doc_id subject labelled_by labelled_at",
+    "events": "event_id ts user_id event_type value props",
+}
 Text = Callable[[Spark], str]
 
 
@@ -173,7 +186,7 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     frames = {t: read(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
     for t, df in frames.items():
         view = f"corpusloom_{t}"
-        df.createOrReplaceTempView(view)
+        df.select(*(c for c in COLUMNS.get(t, "").split() or df.columns if c in df.columns)).createOrReplaceTempView(view)
         sql = sql.replace("{" + t + "}", view)
     return spark.sql(sql)
 

@@ -12,3 +12,5 @@ def spark():
     s = SparkSession.builder.master("local[4]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+import __spark_entry__  # noqa: E402, F401  registers every query
