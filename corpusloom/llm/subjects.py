@@ -229,12 +229,12 @@ def subject_shares(documents: DataFrame, key: str = "doc_id", text: str = "text"
     with_source = each.join(speaks, ["_source", "subject"], "left").select("_row", "_key", "_source", "n_sentences", "subject", (F.col("pattern") + F.coalesce("of_source", F.lit(0))).alias("pattern"), "n")
     counts = {(r["subject"], r["pattern"]): float(r["n"]) for r in with_source.groupBy("subject", "pattern").agg(F.sum("n").alias("n")).collect()}
     total = rows.agg(F.sum("n_sentences")).first()[0] or 0
+    voting = {r["subject"]: r["n"] or 0 for r in speaks.join(per, "_source").groupBy("subject").agg(F.sum("in_source").alias("n")).collect()}  # a row an area
     for s in things:  # the sentences without any vote, of sources that vote and of those that do not
-        voting = speaks.where(F.col("subject") == s).join(per, "_source").agg(F.sum("in_source")).first()[0] or 0
         told_here = sum(v for (t, p), v in counts.items() if t == s and p & SOURCE)
         told_else = sum(v for (t, p), v in counts.items() if t == s and not p & SOURCE)
-        counts[s, SOURCE] = counts.get((s, SOURCE), 0.0) + max(0.0, voting - told_here)
-        counts[s, 0] = max(0.0, total - voting - told_else)
+        counts[s, SOURCE] = counts.get((s, SOURCE), 0.0) + max(0.0, voting.get(s, 0) - told_here)
+        counts[s, 0] = max(0.0, total - voting.get(s, 0) - told_else)
     post = learn(counts)
     sure = documents.sparkSession.createDataFrame([(s, p) for (s, p), q in post.items() if q > 0.5 and p not in (0, SOURCE)], "subject string, pattern int")
     about = with_source.join(F.broadcast(sure), ["subject", "pattern"])  # at most 32 rows an area
@@ -251,8 +251,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("p9_found")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The areas of at least a fifth of a document's sentences, as spelt in subject_areas."""
-    areas = read(spark, sf_dir, "subject_areas").select("subject")
-    return p9_shares(spark, sf_dir).where(F.col("share") >= LEAST).join(F.broadcast(areas), "subject").select("doc_id", "subject")  # a fixed table of nine rows
+    areas = read(spark, sf_dir, "subject_areas").select(F.col("subject").alias("spelt"), F.lower(F.trim("subject")).alias("subject")).distinct()
+    return p9_shares(spark, sf_dir).where(F.col("share") >= LEAST).join(F.broadcast(areas), "subject").select("doc_id", F.col("spelt").alias("subject"))  # a fixed table of nine rows
 
 
 @LLM.query("p9_makeup")
