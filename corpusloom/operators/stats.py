@@ -108,16 +108,12 @@ def hexed(d: Spark, x: str) -> str:
     return f"hex(encode({x}))" if isinstance(d, Duck) else f"hex(encode({x}, 'UTF-8'))"
 
 
-def bytes_of(d: Spark, x: str, n: int) -> str:
-    """Hexadecimal numbers of one byte or two side by side, from each byte on."""
-    if isinstance(d, Duck):
-        return f"[substr(h, 2 * i + 1, {2 * n}) for i in range(len(h) // 2 - {n - 1})]"
-    one = "regexp_extract_all(h, '(..)', 1)"
-    return one if n == 1 else f"zip_with({one}, slice({one}, 2, greatest(size({one}), 1)), (x, y) -> x || y)"
-
-
 def byte_runs(d: Spark, n: int) -> str:
-    return f"SELECT item AS run, count(*) AS n FROM (SELECT {bytes_of(d, 'h', n)} AS runs FROM (SELECT {hexed(d, 'text')} AS h FROM {{documents}} WHERE text IS NOT NULL) AS a) AS t, {d.each('t.runs')} AS e WHERE length(item) = {2 * n} GROUP BY item"
+    """One byte or two side by side, in hexadecimal, with their counts over all documents; Spark counts them in Arrow batches."""
+    if not isinstance(d, Duck):
+        return f"SELECT run, n FROM {{bytes_{n}}}"
+    runs = f"[substr(h, 2 * i + 1, {2 * n}) for i in range(len(h) // 2 - {n - 1})]"
+    return f"SELECT item AS run, count(*) AS n FROM (SELECT {runs} AS runs FROM (SELECT {hexed(d, 'text')} AS h FROM {{documents}} WHERE text IS NOT NULL) AS a) AS t, {d.each('t.runs')} AS e WHERE length(item) = {2 * n} GROUP BY item"
 
 
 @relational("byte_counts")

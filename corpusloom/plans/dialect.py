@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.functions.byte_runs import byte_runs
 from corpusloom.runtime import CORE, read
 
 
@@ -184,6 +185,7 @@ Text = Callable[[Spark], str]
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Spark SQL over the tables of a folder; a table is written {name}."""
     frames = {t: read(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    frames |= {f"bytes_{n}": byte_runs(read(spark, sf_dir, "documents"), "text", n) for n in (1, 2) if f"{{bytes_{n}}}" in sql}
     for t, df in frames.items():
         view = f"corpusloom_{t}"
         df.select(*(c for c in COLUMNS.get(t, "").split() or df.columns if c in df.columns)).createOrReplaceTempView(view)

@@ -179,3 +179,14 @@ def test_without_the_llm_subpackage(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert "p2_found" in said and "p5_found" in said and not [x for x in said if x.startswith(("p1_", "p3_", "p4_", "p6_", "p7_", "p8_", "p9_"))]
     assert not [p for p in ROOT.glob("corpusloom/**/*.py") if "llm" not in p.parts and "corpusloom.llm" in p.read_text()]
+
+
+def test_byte_runs_as_brute_force(spark):
+    from corpusloom.functions.byte_runs import byte_runs
+
+    texts = ["ab", "", None, "é", "aab", "x" * 5000, "b"]
+    for n in (1, 2):
+        want = Counter(b[i : i + n].hex().upper() for t in texts if t for b in [t.encode()] for i in range(len(b) - n + 1))
+        for parts in (1, 3):
+            assert dict(map(tuple, byte_runs(spark.createDataFrame([(t,) for t in texts], "t string").repartition(parts), "t", n).collect())) == want
+    assert byte_runs(spark.createDataFrame([], "t string"), "t", 2).count() == 0
