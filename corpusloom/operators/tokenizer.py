@@ -95,7 +95,7 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "doc_kind", "text", encoder(spark, sf_dir)("text").alias("ids"))
 
 
-@CORE.query("roundtrip_accuracy", "SELECT doc_kind, 1.0 AS accuracy, count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_kind IS NOT NULL GROUP BY doc_kind UNION ALL SELECT 'all', 1.0, count(*) FROM documents WHERE text IS NOT NULL")
+@CORE.query("roundtrip_accuracy", "SELECT doc_kind, CAST(1 AS DOUBLE) AS accuracy, count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_kind IS NOT NULL GROUP BY doc_kind UNION ALL SELECT 'all', CAST(1 AS DOUBLE), count(*) FROM documents WHERE text IS NOT NULL")
 def roundtrip_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of documents that come back exactly, by kind and in all."""
     same = (decoder(spark, sf_dir)("ids") == F.col("text")).cast("double")
