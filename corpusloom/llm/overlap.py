@@ -44,8 +44,9 @@ LITERALS = frozenset(["endl", "flush"])
 LEAST = 0.75
 #: Classes of a shard of the index and of a slice of the queries; positions of the suffix array between two that are kept.
 SHARD, SLICE, SAMPLE = 60_000, 20_000, 8
-#: A match is looked up where it is the shortest that at most so many places share, or, whatever their number, where it spans half of the query.
-FEW, SHORTEST = 8, 3
+#: A match is looked up where it is the shortest that at most FEW places share, and, whatever their number, where it has LONG statements or half of the query.
+#: With a LONG of 1 every place of every match is looked up, and the pairs are exact, at a cost that grows with the square of the commonest statements.
+FEW, SHORTEST, LONG = 8, 3, 6
 
 
 def statements(code: str | None) -> list[str]:
@@ -149,7 +150,7 @@ class FullText:
             walk = walk[~self.is_kept[at[walk]]]
         return self.kept[self.kept_before[at]] + steps
 
-    def matches(self, queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, queries: list[np.ndarray], long_: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each end of a match in a query: the query, and the places lo to hi of the matches that are looked up."""
         sizes = np.array([len(q) for q in queries], dtype=np.int64)
         of = np.repeat(np.arange(len(queries)), sizes)
@@ -163,14 +164,14 @@ class FullText:
         lo, hi = np.zeros(len(flat), dtype=np.int64), np.full(len(flat), self.n, dtype=np.int64)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         alive, k = where[symbol >= 0], 0
-        half = (sizes[of] + 1) // 2
+        half = np.minimum((sizes[of] + 1) // 2, long_)
         while len(alive):
             c = symbol[where[alive] - k]
             lo[alive], hi[alive] = self._back(c, lo[alive]), self._back(c, hi[alive])
             k += 1
             alive = alive[hi[alive] > lo[alive]]
             few = hi[alive] - lo[alive] <= FEW
-            done = alive[few & (k >= np.minimum(SHORTEST, sizes[of[alive]]))] if k < SHORTEST else alive[(few | (k >= half[alive]))]
+            done = alive[few & (k >= np.minimum(SHORTEST, sizes[of[alive]])) | (k >= half[alive])]
             out.append((of[done], lo[done], hi[done]))
             keep = np.ones(len(flat), dtype=bool)
             keep[done] = False
@@ -181,9 +182,9 @@ class FullText:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
-    def pairs(self, queries: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int, float]]:
+    def pairs(self, queries: list[np.ndarray], least: float = LEAST, long_: int = LONG) -> list[tuple[int, int, float]]:
         """(query, sequence, similarity) of `least` or more."""
-        of, lo, hi = self.matches(queries)
+        of, lo, hi = self.matches(queries, long_)
         n = hi - lo
         places = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         sequence = np.searchsorted(self.firsts, self.positions(places), side="right") - 1
@@ -192,7 +193,7 @@ class FullText:
         sizes = np.array([len(x) for x in queries], dtype=np.int64)
         whole = np.array([len(x) for x in self.sequences], dtype=np.int64)
         # one place alone proves nothing in a long program, and sequences of too different lengths cannot be similar
-        good = (hits >= np.minimum(2, sizes[q] // 8 + 1)) & (2 * np.minimum(sizes[q], whole[s]) >= least * (sizes[q] + whole[s]))
+        good = (hits >= np.minimum(2 if long_ > 1 else 1, sizes[q] // 8 + 1)) & (2 * np.minimum(sizes[q], whole[s]) >= least * (sizes[q] + whole[s]))
         out = []
         for i, j in zip(q[good].tolist(), s[good].tolist()):
             if (r := similarity(queries[i].tolist(), self.sequences[j].tolist(), least)) >= least:
@@ -228,7 +229,7 @@ def classes(examples: DataFrame, key: str, code: str, split: str) -> tuple[DataF
     return rows.select(key, "held_out", "class"), by
 
 
-def links(by: DataFrame, least: float = LEAST, shard: int = SHARD, slice_: int = SLICE) -> DataFrame:
+def links(by: DataFrame, least: float = LEAST, shard: int = SHARD, slice_: int = SLICE, long_: int = LONG) -> DataFrame:
     """(train_class, held_class, similarity) of classes that differ. Every slice of the training classes meets every shard of the others;
     the numbers of both follow the table. A task holds one shard and one slice."""
     by = cut(by)
@@ -245,7 +246,7 @@ def links(by: DataFrame, least: float = LEAST, shard: int = SHARD, slice_: int =
         a, b = queries["class"].tolist(), texts["held_class"].tolist()
         as_arrays = lambda s: [np.asarray(x, dtype=np.int64) for x in s]
         index = FullText(as_arrays(texts["held_symbols"]))
-        found = index.pairs(as_arrays(queries["symbols"]), least)
+        found = index.pairs(as_arrays(queries["symbols"]), least, long_)
         found = [(i, j, r) for i, j, r in found if a[i] != b[j]]
         return pd.DataFrame({"train_class": pd.Series([a[i] for i, _, _ in found], dtype=object), "held_class": pd.Series([b[j] for _, j, _ in found], dtype=object), "similarity": pd.Series([r for _, _, r in found], dtype=float)})
 

@@ -45,6 +45,9 @@ def test_pairs_as_brute_force():
     want = {(i, j) for i, q in enumerate(queries) for j, t in enumerate(texts) if similarity(q.tolist(), t.tolist(), 0.8) >= 0.8}
     got = {(i, j) for i, j, _ in FullText(texts).pairs(queries, 0.8)}
     assert got <= want and len(got) >= 0.97 * len(want) > 100
+    assert {(i, j) for i, j, _ in FullText(texts).pairs(queries, 0.8, long_=1)} == want
+    family = [np.array([*range(k), 1000 + k, *range(k + 1, 30)], dtype=np.int64) for k in range(30)]  # near copies of one program, so that every run is common
+    assert len(FullText(family).pairs(family, 0.8)) == 900
     assert FullText([]).pairs(queries) == [] == FullText(texts).pairs([])
 
 
