@@ -46,7 +46,7 @@ LEAST = 0.75
 SHARD, SLICE, SAMPLE = 60_000, 20_000, 8
 #: A match is looked up where it is the shortest that at most FEW places share, and, whatever their number, where it has LONG statements or half of the query.
 #: With a LONG of 1 every place of every match is looked up, and the pairs are exact, at a cost that grows with the square of the commonest statements.
-FEW, SHORTEST, LONG = 8, 3, 6
+FEW, SHORTEST, LONG = 8, 3, 8
 
 
 def statements(code: str | None) -> list[str]:
