@@ -49,43 +49,54 @@ SHARD, SLICE, SAMPLE = 60_000, 20_000, 8
 FEW, SHORTEST, LONG = 8, 3, 8
 
 
-def statements(code: str | None) -> list[str]:
-    """The statements of a program, braces left out; none for NULL."""
-    out: list[str] = []
-    held: list[str] = []
-    depth = 0
-    previous = ""
-    for m in TOKEN.finditer(code or ""):
-        t = m[0]
+QUICK = re.compile(
+    r"\s*([^\W\d]\w*+(?![\"'])|[;,(){}\[\]]|//(?:[^\n\\]|\\.|\\\n)*|/\*[^*]*(?:\*+[^/*][^*]*)*(?:\*+/|\Z)|\#(?:[^\n\\]|\\.|\\\n)*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+    r"|\.?\d(?:[eEpP][+-]|'?\w|\.)*|<<=|>>=|<=>|->\*|\.\.\.|[-+*/%&|^!=<>]=|<<|>>|&&|\|\||\+\+|--|->|::|\S)"
+)
+PARTS = re.compile(r" ?([{};]) ?")
+
+
+class _Forms(dict):
+    """What each token's text becomes: nothing for comments and directives, 0 for literals, x for names, itself for all else."""
+
+    def __missing__(self, t: str) -> str:
         c = t[0]
-        if c == "/" and t[:2] in ("//", "/*") or t.lstrip(" \t")[:1] == "#":
-            continue
+        if c == "#" or t[:2] in ("//", "/*"):
+            return ""
         if c == "_" or c.isalpha():
-            if t[:2] == 'R"':
-                t = "0"
-            elif t == "std" or t in KEPT:
-                pass
-            else:
-                t = "0" if t in LITERALS else "x"
+            form = "std" if t == "std" else t if t in KEPT else "0" if t in LITERALS else "x"
         elif c in "\"'" or c.isdigit() or c == "." and len(t) > 1 and t != "...":
-            t = "0"
-        if t == "::" and previous == "std":
-            held.pop()
-            previous = t
-            continue
-        if t == "0" and previous == "0" and held:
-            continue  # literals side by side are one
-        previous = t
-        if t in "{}" or t == ";" and not depth:
-            if held:
-                out.append(" ".join(held))
-                held = []
+            form = "0"
         else:
-            depth += (t == "(") - (t == ")")
-            depth = max(depth, 0)
-            held.append(t)
-    if held:
-        out.append(" ".join(held))
+            form = t
+        if len(self) > 200_000:
+            self.clear()
+        self[t] = form
+        return form
+
+
+_forms = _Forms()
+
+
+def statements(code: str | None) -> list[str]:
+    """The statements of a program, braces left out; none for NULL."""
+    text = code or ""
+    words = [m[0].lstrip() for m in TOKEN.finditer(text)] if 'R"' in text else QUICK.findall(text)
+    forms = ["0" if t[:2] == 'R"' else _forms[t] for t in words] if 'R"' in text else map(_forms.__getitem__, words)
+    line = " ".join(filter(None, forms)).replace("std :: ", "")
+    while "0 0" in line:  # literals side by side are one
+        line = line.replace("0 0", "0")
+    out, held, depth = [], "", 0
+    parts = PARTS.split(line)
+    for k in range(0, len(parts), 2):
+        piece = parts[k]
+        depth = max(0, depth + piece.count("(") - piece.count(")"))
+        held = f"{held} {piece}" if held and piece else held or piece
+        if depth and k + 1 < len(parts) and parts[k + 1] == ";":  # within the head of a loop
+            held += " ;"
+        elif held:
+            out.append(held)
+            held = ""
     return [s for s in out if s != "using namespace std"]
 
 
