@@ -214,4 +214,5 @@ def utf8_functions(d: Spark) -> str:
 @relational("math_functions")
 def math_functions(d: Spark) -> str:
     """Exponent, logarithm, root, a share with a guard against zero, and softmax within a type of event."""
-    return "SELECT event_id, exp(-value / 100) AS decay, ln(value + 1) AS log_value, sqrt(value) AS root, value / nullif(sum(value) OVER (PARTITION BY event_type), 0) AS share, exp(value / 100) / sum(exp(value / 100)) OVER (PARTITION BY event_type) AS softmax FROM {events} WHERE value >= 0"
+    sums = "SELECT event_type, sum(value) AS total, sum(exp(value / 100)) AS weights FROM {events} WHERE value >= 0 GROUP BY event_type"  # summed first, so a hot type stays spread
+    return f"SELECT e.event_id, exp(-e.value / 100) AS decay, ln(e.value + 1) AS log_value, sqrt(e.value) AS root, e.value / nullif(s.total, 0) AS share, exp(e.value / 100) / s.weights AS softmax FROM {{events}} AS e JOIN ({sums}) AS s ON e.event_type = s.event_type WHERE e.value >= 0"
