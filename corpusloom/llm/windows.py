@@ -19,6 +19,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Windows that are open at a time in a lane, and texts for which there is a lane. Lanes follow the table, not the cluster.
 OPEN, LANE = 512, 20_000
+#: Capacities for which a task packs at a time, and rows that it hands on at a time.
+PART, ROWS = 64, 100_000
 
 
 class Packer:
@@ -97,7 +99,7 @@ def pack(sized: DataFrame, key: str, size: str, capacities: list[tuple[int, int]
     """Rows (window_id, key, piece, first_token, n_tokens, lane, window_no, place) for each (window_id, capacity).
 
     Items go to lanes by a hash of `key` and through a lane in its order, so the result is the same on any cluster and in any
-    number of tasks. A task holds the open windows of one lane, not its items. An item without size, or of size 0, takes a
+    number of tasks. A task holds the open windows of one lane and PART capacities, not its items; more capacities take more tasks. An item without size, or of size 0, takes a
     place in a window and no space; repeated keys are items of their own, in no set order; an empty table gives no row.
     """
     schema = f"window_id int, {key} {sized.schema[key].dataType.simpleString()}, piece int, first_token bigint, n_tokens bigint, lane int, window_no bigint, place int"
@@ -107,16 +109,22 @@ def pack(sized: DataFrame, key: str, size: str, capacities: list[tuple[int, int]
         lane, packers = None, []
         for b in batches:
             rows = []
-            for k, n, at in zip(b["_key"], b["_size"], b["_lane"]):
-                if at != lane:
-                    lane, packers = at, [(i, Packer(c, most_open)) for i, c in capacities]
+            for k, n, at, part in zip(b["_key"], b["_size"], b["_lane"], b["_part"]):
+                if (at, part) != lane:
+                    lane, packers = (at, part), [(i, Packer(c, most_open)) for i, c in capacities[part * PART : (part + 1) * PART]]
                 for i, p in packers:
                     rows += [(i, k, piece, first, m, at, window, place) for piece, first, m, window, place in p.put_all(int(n))]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             yield pd.DataFrame(rows, columns=names)
 
     lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
-    rows = sized.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"), lane.alias("_lane"))
-    return rows.repartition(max(1, min(lanes, 2000)), "_lane").sortWithinPartitions("_lane", "_key", "_size").mapInPandas(packed, schema)
+    parts = -(-len(capacities) // PART)
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+    rows = sized.select(F.col(key).alias("_key"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"), lane.alias("_lane")).select("*", part.alias("_part"))
+    by = ("_lane", "_part") if parts > 1 else ("_lane",)
+    return rows.repartition(max(1, min(lanes * parts, 2000)), *by).sortWithinPartitions("_lane", "_part", "_key", "_size").mapInPandas(packed, schema)
 
 
 @LLM.query("p7_windows")
@@ -124,7 +132,7 @@ def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each capacity of context_windows, the window of every text, or of every piece of a text that is longer than the window."""
     documents = read(spark, sf_dir, "documents")
     lanes = -(-documents.count() // LANE) or 1
-    windows = read(spark, sf_dir, "context_windows").where("capacity_tokens > 0").select("window_id", "capacity_tokens").distinct().orderBy("window_id").limit(1000).collect()
+    windows = read(spark, sf_dir, "context_windows").where("capacity_tokens > 0").select("window_id", "capacity_tokens").distinct().orderBy("window_id", "capacity_tokens").collect()  # a fixed table
     sized = documents.select("doc_id", token_counter(spark)("text").alias("n"))
     return pack(sized, "doc_id", "n", [(r["window_id"], r["capacity_tokens"]) for r in windows], lanes)
 

@@ -4,6 +4,7 @@ import pyarrow as pa
 from corpusloom.llm import LLM
 from corpusloom.llm.tokens import STRETCH, Matcher, as_bytes, totals
 from corpusloom.llm.windows import Packer, pack
+from pyspark.sql import functions as F
 
 
 def brute(text: bytes, tokens: set[bytes]) -> int:
@@ -59,3 +60,18 @@ def test_pack_is_the_same_in_any_partitioning(spark):
     rows = [sorted(map(tuple, pack(df.repartition(k), "doc_id", "n", [(1, 50), (2, 200)], 5).collect())) for k in (1, 4, 16)]
     assert rows[0] == rows[1] == rows[2] and {r[1] for r in rows[0]} == {*range(700), 900}
     assert pack(df.limit(0), "doc_id", "n", [(1, 50)], 1).count() == 0
+
+
+def test_every_window_is_filled(spark, tmp_path):
+    """Also where there are more of them than one task packs; each as if it were the only one."""
+    spark.createDataFrame([(k, "a word " * (k * 7)) for k in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    windows = [(k, "w", 10 + k) for k in range(1, 1201)]
+    spark.createDataFrame([*windows, windows[0], (1201, "w", 0), (1202, "w", None)], "window_id int, window_name string, capacity_tokens int").write.parquet(f"{tmp_path}/context_windows.parquet")
+    rows = LLM.queries["p7_windows"](spark, str(tmp_path))
+    assert {tuple(r) for r in rows.groupBy("window_id").agg(F.countDistinct("doc_id")).collect()} == {(k, 6) for k, _, _ in windows}
+    assert {r["window_id"] for r in LLM.queries["p7_fill"](spark, str(tmp_path)).collect()} == {k for k, _, _ in windows}
+    sized = spark.createDataFrame([(k, k * 9) for k in range(60)], "doc_id long, n int")
+    every = [(k, c) for k, _, c in windows[::150]]
+    alone = {tuple(r) for w in every for r in pack(sized, "doc_id", "n", [w], 3).collect()}
+    among = [tuple(r) for r in pack(sized, "doc_id", "n", [(k, c) for k, _, c in windows], 3).where(F.col("window_id").isin([k for k, _ in every])).collect()]
+    assert set(among) == alone and len(among) == len(alone)
