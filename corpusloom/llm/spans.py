@@ -34,8 +34,13 @@ ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})
 PLAIN = {"n": "\n", "t": "\t", "r": "\r"}
 MARKS = re.compile(r"^[ \t]*(?:/{2,}[!<]?|\#+|\*+(?!/))[ \t]?", re.M)
 FORMAT = re.compile(r"%[-+#0 ]*\d*(?:\.\d+)?[a-zA-Z]|\{[^{}\s]*\}|\$\{[^}]*\}|</?[A-Za-z][^<>\n]*>|https?://\S+|(?:\.{0,2}/)?[\w.-]+(?:/[\w.-]+)+")
-#: Signs of code: operators, calls, and ends of statements.
-CODE = re.compile(r"[;{}]\s*$|[^\s=]\s*==|[-+*/%&|^!<>]=|->|::|&&|\|\||\+\+|--\w|\w\(|\w\[|\s=\s|^\s*[\w.]+\s*=\s*\S|<<|>>|^\s*(?:import|from|def|#include|return|class|else|elif)\b[^.,]*$")
+#: Signs of code: operators, calls, and ends of statements; characters without one of which there are none, and words that begin a statement.
+CODE = re.compile(r"[;{}]\s*$|[^\s=]\s*==|[-+*/%&|^!<>]=|->|::|&&|\|\||\+\+|--\w|\w\(|\w\[|\s=\s|^\s*[\w.]+\s*=\s*\S|<<|>>")
+CODE_NEEDS = re.compile(r"[;{}=>&|+(\[<]|::|--")
+STATEMENT = re.compile(r"\s*(?:import|from|def|#include|return|class|else|elif)\b[^.,]*$")
+#: Characters without one of which FORMAT finds nothing.
+FORMAT_NEEDS = re.compile(r"[%{</]")
+VISIBLE, NUMBER = re.compile(r"\w"), re.compile(r"\W*\d[\d.,]*\W*")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 HAN = re.compile(r"[㐀-䶿一-鿿]")
 #: Words of the least sentence, and characters where a language has no blanks (about two a word).
@@ -67,7 +72,12 @@ SCRIPTS = {"ru": re.compile(r"[Ѐ-ӿ]")}
 
 
 class Profiles:
-    """Letter runs of one to three in each language, as logarithms of smoothed shares; the likeliest language is that of a text."""
+    """Letter runs of one to four in each language, as logarithms of smoothed shares; the likeliest language is that of a text.
+
+    What is found out about a word is kept for the next time it comes; where MOST are kept, all are forgotten.
+    """
+
+    MOST = 50_000
 
     def __init__(self, seed: dict[str, str] = SEED) -> None:
         counts = {lang: Counter(x for w in self.words(text) for x in self.runs(w)) for lang, text in seed.items()}
@@ -76,6 +86,8 @@ class Profiles:
         sums = [sum(c.values()) + 0.5 * len(every) for c in counts.values()]
         self.none = [-math.log(s / 0.5) for s in sums]
         self.shares = {x: [math.log((c[x] + 0.5) / s) for c, s in zip(counts.values(), sums)] for x in every}
+        self.known: dict[str, tuple[float, ...]] = {}
+        self.parts: dict[str, tuple[str | None, int, tuple[int, ...], bool]] = {}
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -86,14 +98,31 @@ class Profiles:
         w = f" {word} "
         return [w[i : i + k] for k in (1, 2, 3, 4) for i in range(len(w) - k + 1)]
 
+    def scores(self, word: str) -> tuple[float, ...]:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            shares, none = self.shares, self.none
+            out = self.known[word] = tuple(map(sum, zip(*[shares.get(x, none) for x in self.runs(word)])))
+        return out
+
     def language(self, words: list[str]) -> str:
-        scores = [0.0] * len(self.langs)
-        for w in words:
-            for x in self.runs(w):
-                for k, v in enumerate(self.shares.get(x, self.none)):
-                    scores[k] += v
+        scores = list(map(sum, zip(*map(self.scores, words))))
         return self.langs[scores.index(max(scores))]
 
+    def part(self, part: str) -> tuple[str | None, int, tuple[int, ...], bool]:
+        """What stands between blanks: (the word in small letters or None, its letters, those of each of SCRIPTS, whether it counts as a word or a sign)."""
+        out = self.parts.get(part)
+        if out is None:
+            if len(self.parts) >= self.MOST:
+                self.parts.clear()
+            w = part.strip("\"'“”«»‘’`()[]<>*_.,:;!?…-–—¿¡=#")
+            word = w and WORD.fullmatch(w) and (w.islower() or w[1:].islower() or len(w) == 1 or (w.isupper() and len(w) < 6))
+            counts = VISIBLE.search(part) is not None and not NUMBER.fullmatch(part)
+            out = self.parts[part] = (w.lower(), len(w), tuple(len(x.findall(w)) for x in SCRIPTS.values()), counts) if word else (None, 0, (), counts)
+        return out
+
 
 def _decoded(literal: str) -> str:
     def one(m: re.Match) -> str:
@@ -139,23 +168,24 @@ def extract(code: str | None, lang: str | None) -> list[tuple[str, int]]:
 
 def sentence_language(text: str, profiles: Profiles) -> str | None:
     """The language of a line, or None if it is no sentence."""
-    t = FORMAT.sub(" ", text).strip()
-    han = HAN.findall(t)
-    if len(han) >= LEAST_HAN and len(han) >= 0.4 * len(re.sub(r"[\s\d\W]", "", t)):
-        return "zh"
-    if CODE.search(t):
+    t = (FORMAT.sub(" ", text) if FORMAT_NEEDS.search(text) else text).strip()
+    if not t.isascii():
+        han = HAN.findall(t)
+        if len(han) >= LEAST_HAN and len(han) >= 0.4 * len(re.sub(r"[\s\d\W]", "", t)):
+            return "zh"
+    if STATEMENT.match(t) or CODE_NEEDS.search(t) and CODE.search(t):
         return None
-    parts = t.split()
-    words = [w for p in parts if (w := p.strip("\"'“”«»‘’`()[]<>*_.,:;!?…-–—¿¡=#")) and WORD.fullmatch(w) and (w.islower() or w[1:].islower() or len(w) == 1 or (w.isupper() and len(w) < 6))]
-    if len(words) < LEAST_WORDS or len(words) < 0.6 * len([p for p in parts if re.search(r"\w", p) and not re.fullmatch(r"\W*\d[\d.,]*\W*", p)]):
+    parts = [profiles.part(p) for p in t.split()]
+    words = [x for x in parts if x[0] is not None]
+    if len(words) < LEAST_WORDS or len(words) < 0.6 * sum(x[3] for x in parts):
         return None
-    if sum(len(w) for w in words) < 3 * len(words) * 0.75:
+    letters = sum(x[1] for x in words)
+    if letters < 3 * len(words) * 0.75:
         return None
-    letters = "".join(words)
-    for lang, script in SCRIPTS.items():
-        if len(script.findall(letters)) > 0.6 * len(letters):
+    for k, lang in enumerate(SCRIPTS):
+        if sum(x[2][k] for x in words) > 0.6 * letters:
             return lang
-    return profiles.language([w.lower() for w in words])
+    return profiles.language([x[0] for x in words])
 
 
 def languages(text: str | None, profiles: Profiles) -> list[tuple[str, float]]:

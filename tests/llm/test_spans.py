@@ -39,3 +39,29 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "file_id long, code string, lang string, n int")
     got = [tuple(r) for r in language_shares(df, "file_id", "code", "lang").orderBy("file_id").collect()]
     assert got == [(1, "en", 1, 29, 1.0), (2, "en", 1, 29, 1.0)] and language_shares(df.limit(0), "file_id", "code", "lang").count() == 0
+
+
+def test_a_word_is_scored_once():
+    """Its letter runs are looked up when it first comes, and again only after it was forgotten; the language is that of all runs of all words."""
+    looked = []
+
+    class Counted(Profiles):
+        @staticmethod
+        def runs(word):
+            looked.append(word)
+            return Profiles.runs(word)
+
+    sentences = [re.sub(r"[.;]", "", s).split() for text in SEED.values() for s in text.split(". ")]
+    for most in (50_000, 7):
+        p = Counted()
+        p.MOST, start = most, len(looked)
+        for _ in range(3):
+            for s in sentences:
+                words = Profiles.words(" ".join(s))
+                every = [sum(p.shares.get(x, p.none)[k] for w in words for x in Profiles.runs(w)) for k in range(len(p.langs))]
+                assert p.language(words) == p.langs[every.index(max(every))]
+        if most == 50_000:
+            assert sorted(looked[start:]) == sorted({w for s in sentences for w in Profiles.words(" ".join(s))})
+        assert len(p.known) <= most
+    text = "The list is sorted before the search. " * 50
+    assert languages(text, p) == languages(text, P) == [("en", 1.0)]
